@@ -40,9 +40,16 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality(table(spark, sf_dir, "documents")).select("doc_id", *SIGNALS, "base_failed", "kept")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqrec.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
     "op3_chat_format": op3_chat_format,
+    "op8_near_dedup": op8_near_dedup,
     "op10_host_rules": op10_host_rules,
 }
