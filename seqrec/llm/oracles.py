@@ -79,4 +79,16 @@ HOSTS = f"""
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (x + m * k) / (n + k) <= {HOST_LIMIT} AS kept
     FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source, q"""
 
-ORACLES = {"op1_license_scan": _license_sql(), "op2_source_mix": MIX, "op3_chat_format": CHAT, "op10_host_rules": HOSTS}
+LEAKS = f"""
+    WITH d AS (SELECT doc_id, {LETTER_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {LETTER_WORDS} AS w FROM benchmark),
+    win AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, unnest(list_transform(range(greatest(len(w) - 9, least(len(w), 1))), lambda i: array_to_string(w[i + 1:i + 10], ' '))) AS s FROM b),
+    size AS (SELECT DISTINCT m FROM win),
+    dw AS (SELECT doc_id, m, unnest(list_transform(range(greatest(len(w) - m + 1, 0)), lambda i: {{'p': i, 's': array_to_string(w[i + 1:i + m], ' ')}})) AS g FROM d, size),
+    hit AS (SELECT doc_id, g.p AS p, m, item_id FROM dw JOIN win USING (m) WHERE g.s = win.s),
+    n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM hit) GROUP BY doc_id),
+    i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM hit GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+ORACLES = {"op1_license_scan": _license_sql(), "op2_source_mix": MIX, "op3_chat_format": CHAT, "op6_decontaminate": LEAKS, "op10_host_rules": HOSTS}

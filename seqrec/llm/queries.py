@@ -40,6 +40,15 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality(table(spark, sf_dir, "documents")).select("doc_id", *SIGNALS, "base_failed", "kept")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqrec.llm.decontaminate import find_contamination
+
+    out = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"] + 1)
+    out = out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqrec.llm.near_dedup import near_duplicates
 
@@ -50,6 +59,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
     "op3_chat_format": op3_chat_format,
+    "op6_decontaminate": op6_decontaminate,
     "op8_near_dedup": op8_near_dedup,
     "op10_host_rules": op10_host_rules,
 }
