@@ -40,6 +40,24 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality(table(spark, sf_dir, "documents")).select("doc_id", *SIGNALS, "base_failed", "kept")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqrec.llm.folds import held_out
+    from seqrec.llm.quality_pu import fit, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    out = score_quality(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqrec.llm.folds import held_out
+    from seqrec.llm.language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, fit(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqrec.llm.decontaminate import find_contamination
 
@@ -59,6 +77,8 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
     "op3_chat_format": op3_chat_format,
+    "op4_quality": op4_quality,
+    "op5_language_id": op5_language_id,
     "op6_decontaminate": op6_decontaminate,
     "op8_near_dedup": op8_near_dedup,
     "op10_host_rules": op10_host_rules,
