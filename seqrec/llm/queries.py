@@ -67,6 +67,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqrec.llm.line_dedup import apply_removals, duplicate_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = apply_removals(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")), duplicate_lines(docs))
+    removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
+    return out.select("doc_id", "n_lines", removed.alias("n_removed"), F.array_join("_gone", ",").alias("removed_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqrec.llm.near_dedup import near_duplicates
 
@@ -80,6 +89,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_language_id": op5_language_id,
     "op6_decontaminate": op6_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op10_host_rules": op10_host_rules,
 }
