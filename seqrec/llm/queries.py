@@ -34,6 +34,20 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(turns))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqrec.llm.url_filter import Rule, filter_urls
+
+    rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return filter_urls(table(spark, sf_dir, "pages"), labels, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqrec.llm.quality_rules import SIGNALS, host_quality
 
@@ -91,5 +105,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_host_rules": op10_host_rules,
+    "pipeline": pipeline,
 }
