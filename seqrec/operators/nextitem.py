@@ -86,7 +86,7 @@ def encode(w: dict[str, np.ndarray], inputs: np.ndarray, heads: int = HEADS) ->
     x = w["item"][inputs] + w["pos"][-length:]
     pad = inputs == 0
     shut = np.triu(np.ones((length, length), bool), 1)[None] | pad[:, None, :]
-    shut = np.where(shut.all(-1, keepdims=True), False, shut)[:, None]
+    shut = (shut & ~np.eye(length, dtype=bool))[:, None]  # a padded position sees itself, so no row is empty
     for b in range(sum(k.endswith(".q") for k in w)):
         y = _norm(x, w[f"{b}.n1_g"], w[f"{b}.n1_b"])
         q, k, v = ((y @ w[f"{b}.{m}"]).reshape(n, length, heads, -1).transpose(0, 2, 1, 3) for m in "qkv")
