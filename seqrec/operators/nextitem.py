@@ -130,6 +130,32 @@ def next_items(seq: DataFrame, weights: dict[str, np.ndarray], k: int = 5, lengt
     return padded.mapInPandas(score, "user_idx int, rank int, item_idx int, score double")
 
 
+def next_for_ids(spark, ids: list[str], item_map: DataFrame, weights: dict[str, np.ndarray], k: int = 5, length: int = MAX_LENGTH) -> DataFrame:
+    """(rank, item_id, score) after one history of item ids in order; unknown ids are ignored, no known id gives no row."""
+    asked = spark.createDataFrame([(i, str(x)) for i, x in enumerate(ids)], "pos int, item_id string")
+    seq = asked.join(item_map, "item_id").groupBy(F.lit(1).alias("user_idx")).agg(A.ordered_list(F.col("item_idx"), F.col("pos")).alias("items"))
+    return next_items(seq, weights, k, length).join(item_map, "item_idx").select("rank", "item_id", "score")
+
+
+def save_dataset(seq: DataFrame, users: DataFrame, items: DataFrame, folder: str) -> None:
+    for name, df in (("sequences", seq), ("users", users), ("items", items)):
+        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def load_dataset(spark, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in ("sequences", "users", "items"))
+
+
+def save_weights(spark, weights: dict[str, np.ndarray], path: str) -> None:
+    """One row per array, so that weights live on any file system that Spark reaches."""
+    rows = [(k, list(v.shape), bytearray(np.ascontiguousarray(v, np.float64).tobytes())) for k, v in weights.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark, path: str) -> dict[str, np.ndarray]:
+    return {r["name"]: np.frombuffer(bytes(r["data"]), np.float64).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+
+
 def train(rows: DataFrame, n_items: int, epochs: int = 20, rate: float = 0.001, batch: int = 512, seed: int = 1) -> dict[str, np.ndarray]:
     """Weights trained with torch on ``training_rows`` plus ``negatives``; padding carries no loss."""
     try:
