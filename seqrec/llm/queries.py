@@ -85,9 +85,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqrec.llm.line_dedup import apply_removals, duplicate_lines
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = apply_removals(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")), duplicate_lines(docs))
-    removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    return out.select("doc_id", "n_lines", removed.alias("n_removed"), F.array_join("_gone", ",").alias("removed_lines"), F.sha2("text", 256).alias("text_sha256"))
+    out = apply_removals(docs, duplicate_lines(docs))
+    n_lines = F.coalesce(F.size(F.split("row.text", "\n")), F.lit(0)).cast("long")
+    removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    return out.select("row.doc_id", n_lines.alias("n_lines"), removed.alias("n_removed"), F.array_join("gone", ",").alias("removed_lines"), F.sha2("new_text", 256).alias("text_sha256"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
