@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _power = np.ones(1, np.uint64)
@@ -199,20 +199,34 @@ def run_bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(change), table.num_rows)
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member of each of n nodes' groups under the links a-b: minimum labels, halved by pointer jumping."""
-    label = np.arange(n)
+def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (smallest member of each group) after the links a-b: minimum labels, halved by pointer jumping."""
     while len(a):
         la, lb = label[a], label[b]
         open_ = la != lb
         if not open_.any():
             break
         a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
-        low, high = np.minimum(la, lb), np.maximum(la, lb)
-        np.minimum.at(label, high, low)
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
         while True:
             up = label[label]
             if (up == label).all():
                 break
             label = up
     return label
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of each of n nodes' groups under the links a-b."""
+    return join(np.arange(n), a, b)
+
+
+def forest(n: int, one: np.ndarray, two: np.ndarray, near) -> np.ndarray:
+    """Labels of n nodes under ``near(rows, two)``, a boolean matrix asked for a few rows of ``one`` at a time, so that memory holds no pair list."""
+    label = np.arange(n)
+    step = max(1, (1 << 18) // max(1, len(two)))
+    for lo in range(0, len(one), step):
+        rows = one[lo : lo + step]
+        x, y = np.nonzero(near(rows, two))
+        label = join(label, rows[x], two[y])
+    return label

@@ -139,8 +139,8 @@ def _postings_task(least: int):
             for r in np.flatnonzero(size > 8):
                 s = slice(bound[r], bound[r + 1])
                 one, two = _pairs(side[s])
-                x, y = np.nonzero(_matches(sig[s][one], sig[s][two], least))
-                root = K.spanning(size[r], one[x], two[y])
+                own = sig[s]
+                root = K.forest(size[r], one, two, lambda p, q, own=own: _matches(own[p], own[q], least))
                 move = np.flatnonzero(root != np.arange(size[r]))
                 outs_a.append(cls[s][move])
                 outs_b.append(cls[s][root[move]])
@@ -160,8 +160,8 @@ def _common(rows: list[np.ndarray], block: int = 4096) -> tuple[np.ndarray, np.n
     return member[shared], number, int(number.max()) + 1 if len(number) else 0
 
 
-def links_in_group(rows: list[np.ndarray], one: np.ndarray, two: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (x in one, y in two) with 100 * common >= percent * union, from sorted distinct shingle arrays."""
+def links_in_group(rows: list[np.ndarray], one: np.ndarray, two: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x in one, y in two) with 100 * common >= percent * union, from sorted distinct shingle arrays, some rows of ``one`` at a time."""
     member, number, n = _common(rows)
     size = np.array([len(r) for r in rows], np.int64)
     spot1, spot2 = np.full(len(rows), -1), np.full(len(rows), -1)
@@ -179,10 +179,10 @@ def links_in_group(rows: list[np.ndarray], one: np.ndarray, two: np.ndarray, per
         a[spot1[mem[in1]], num[in1]] = 1
         b[spot2[mem[in2]], num[in2]] = 1
         common += a @ b.T
-    both = common.astype(np.int64)
-    hit = (100 * both >= percent * (size[one][:, None] + size[two][None, :] - both)) & (both > 0)
-    x, y = np.nonzero(hit)
-    return one[x], two[y]
+    for lo in range(0, len(one), 128):  # counts are whole numbers; a few rows at a time keep the wide integers and the pairs small
+        both = common[lo : lo + 128].astype(np.int64)
+        x, y = np.nonzero((100 * both >= percent * (size[one[lo : lo + 128]][:, None] + size[two][None, :] - both)) & (both > 0))
+        yield one[lo + x], two[y]
 
 
 def _group_task(k: int, table: np.ndarray, percent: int):
@@ -198,8 +198,9 @@ def _group_task(k: int, table: np.ndarray, percent: int):
             for r in range(len(bound) - 1):
                 s = slice(bound[r], bound[r + 1])
                 one, two = _pairs(side[s])
-                x, y = links_in_group(rows[s], one, two, percent)
-                root = K.spanning(s.stop - s.start, x, y)
+                root = np.arange(s.stop - s.start)
+                for x, y in links_in_group(rows[s], one, two, percent):
+                    root = K.join(root, x, y)
                 move = np.flatnonzero(root != np.arange(len(root)))
                 a.append(cls[s][move])
                 b.append(cls[s][root[move]])
