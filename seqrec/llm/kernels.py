@@ -40,7 +40,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def byte_table(keep, lower: bool = True) -> np.ndarray:
     """Map of bytes for which ``keep(b)`` holds; others become 0, which separates words."""
-    t = np.array([b if keep(b) else 0 for b in range(256)], np.uint8)
+    t = np.array([(b or 255) if keep(b) else 0 for b in range(256)], np.uint8)  # 255 is no byte of UTF-8
     if lower:
         t[65:91] = t[97:123]
     return t
