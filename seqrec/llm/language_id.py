@@ -201,6 +201,7 @@ def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     """``docs`` without the rejected rows; one narrow pass. Without a model every row goes."""
     if model is None:
         return docs.where(F.lit(False))
-    flagged = docs.select("*", F.coalesce(F.col(text_col).rlike(HAS_LETTER), F.lit(False)).alias("_has_letter"))
+    flag = "_" * (1 + max(map(len, docs.columns)))  # longer than any column of the input
+    flagged = docs.select("*", F.coalesce(F.col(text_col).rlike(HAS_LETTER), F.lit(False)).alias(flag))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return flagged.mapInArrow(_filter(shared, docs.columns.index(text_col), len(docs.columns)), docs.schema)

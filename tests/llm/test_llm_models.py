@@ -86,7 +86,7 @@ def test_trigrams_ignore_case_and_breaks():
     assert np.array_equal(c[0], c[1]) and c[2].sum() == 0 and c[3].sum() == 1
 
 
-def test_url_rules():
+def url_cases():
     import re
 
     rules = [UF.Rule("allow", "org", "/"), UF.Rule("block", "example.org", "/es/"), UF.Rule("block", "com", "/de/")]
@@ -102,7 +102,7 @@ def test_url_rules():
 
 
 def test_url_verdicts(spark):
-    urls, rules, want = test_url_rules()
+    urls, rules, want = url_cases()
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     none = spark.createDataFrame([], "id long, bad boolean")
     got = {r.page_id: r for r in UF.filter_urls(pages, none, rules).collect()}
