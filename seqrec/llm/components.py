@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqrec.plans.lineage import drop, materialize
+from seqrec.plans.lineage import drop, materialize, small_side
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,24 +19,25 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     one = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialize(both.distinct(), "links")
-    maps: list[DataFrame] = []
+    maps: list[tuple[DataFrame, int]] = []
     step = 0
     while not edges.isEmpty():
-        rank = lambda c, s=step: F.struct(F.xxhash64(F.lit(s), c).alias("h"), c.alias("v"))
-        low = edges.groupBy(F.col("a").alias("v")).agg(F.min(rank(F.col("b"))).alias("m"))
-        point = materialize(low.select("v", F.least(rank(F.col("v")), F.col("m"))["v"].alias("to")), "points")
-        maps.append(point)
-        first = edges.join(point.select(F.col("v").alias("a"), F.col("to").alias("ta")), "a")
-        moved = first.join(point.select(F.col("v").alias("b"), F.col("to").alias("tb")), "b")
+        rank = lambda c, s=step: F.xxhash64(F.lit(s), F.col(c))
+        low = edges.groupBy(F.col("a").alias("v")).agg(F.min_by("b", rank("b")).alias("m"), F.min(rank("b")).alias("h"))
+        point = materialize(low.select("v", F.when(F.col("h") < rank("v"), F.col("m")).otherwise(F.col("v")).alias("to")), "points")
+        rows = point.count()
+        maps.append((point, rows))
+        first = edges.join(small_side(point.select(F.col("v").alias("a"), F.col("to").alias("ta")), rows=rows), "a")
+        moved = first.join(small_side(point.select(F.col("v").alias("b"), F.col("to").alias("tb")), rows=rows), "b")
         fresh = materialize(moved.where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct(), "links")
         drop(edges.sparkSession, edges)
         edges, step = fresh, step + 1
     if not maps:
         return one.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-    end = maps[-1]
-    for before in reversed(maps[:-1]):
-        after = end.select(F.col("v").alias("to"), F.col("to").alias("far"))
-        end = before.join(after, "to", "left").select("v", F.coalesce("far", "to").alias("to"))
+    end, rows = maps[-1]
+    for before, more in reversed(maps[:-1]):  # each map is at most as long as the one before
+        after = small_side(end.select(F.col("v").alias("to"), F.col("to").alias("far")), rows=rows)
+        end, rows = before.join(after, "to", "left").select("v", F.coalesce("far", "to").alias("to")), more
     end = materialize(end, "roots")
     smallest = end.groupBy("to").agg(F.min("v").alias("root"))
-    return end.join(smallest, "to").select(F.col("v").alias("node"), "root")
+    return end.join(small_side(smallest, rows=rows), "to").select(F.col("v").alias("node"), "root")
