@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a side may have before it is no longer sent to every executor.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 _made: list[tuple[SparkSession, str]] = []
 
