@@ -64,8 +64,8 @@ CHAT = """
 
 HOSTS = f"""
     WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {BLANK_WORDS} AS w FROM documents),
-    g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d),
-    h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM g),
+    g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'i': i, 't': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]}})) AS x FROM d),
+    h AS (SELECT doc_id, x.i AS i, count(*) OVER (PARTITION BY doc_id, x.t) AS c FROM g),
     rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE c > 1) GROUP BY doc_id),
     ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
     dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
