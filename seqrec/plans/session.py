@@ -20,3 +20,15 @@ def session(app: str = "seqrec", **conf: str) -> SparkSession:
     for k, v in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+#: Rows of whole texts that one Arrow batch may hold; a batch is held on both sides of the pipe to Python.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's Arrow batch size to ``rows`` if it is larger: long texts make the default batch heavy."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
