@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqrec.llm import kernels as K
+from seqrec.plans.session import bounded_batches
 
 WINDOW = 10
 SHINGLE = 3
@@ -232,6 +233,7 @@ def _filter(shared, column: int):
 def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, block: int):
     """Broadcast indexes of the benchmark's blocks, weighted by the shingles' frequency over all of ``docs``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     windows = benchmark_windows(benchmark, item_col, item_text_col).cache()
     blocks = max(1, -(-windows.count() // block))
     for b in range(blocks):

@@ -161,9 +161,10 @@ def binary_rows(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole runs of rows with equal keys, from batches of rows sorted by them."""
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 8192) -> Iterator[pa.Table]:
+    """Tables of whole runs of rows with equal keys, of ``least`` rows or more but for the last, from batches of rows sorted by them."""
     held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -176,14 +177,15 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             last = held[-1].num_rows - 1
             change[0] = any(c[0].as_py() != held[-1].column(held[-1].schema.get_field_index(k))[last].as_py() for k, c in zip(keys, cols, strict=True))
         cut = int(np.flatnonzero(change)[-1]) if change.any() else -1
-        if cut < 0:
+        if cut < 0 or rows + cut < least:
             held.append(batch)
+            rows += batch.num_rows
             continue
         if cut:
             held.append(batch.slice(0, cut))
-        if held:
-            yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held)
         held = [batch.slice(cut)]
+        rows = held[0].num_rows
     if held:
         yield pa.Table.from_batches(held)
 

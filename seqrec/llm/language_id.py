@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from seqrec.llm import kernels as K
 from seqrec.llm.folds import learnable, per_group_sample
 from seqrec.plans.lineage import materialize
+from seqrec.plans.session import bounded_batches
 
 DIMS = 8192
 CLUSTERS = 4
@@ -131,6 +132,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Clustering runs in one task per language over its bounded sample; the driver gets document
     frequencies (``DIMS`` numbers) and the centroids.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(learnable(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = per_group_sample(rows, "id", "lang", per_language, 5)

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from seqrec.llm import kernels as K
 from seqrec.llm.components import components
 from seqrec.plans.lineage import materialize, small_side
+from seqrec.plans.session import bounded_batches
 
 COORDS = 32
 #: Share of the pairs at the very threshold whose signatures may agree in too few coordinates.
@@ -266,6 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents link if 100 * common >= percent * union of their sets of ``k``-word shingles.
     """
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(slim, k), "signed")
     classes = signed.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.first("sig").alias("sig"), F.min("id").alias("cls"))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from seqrec.llm import kernels as K
 from seqrec.llm.folds import draw, learnable
 from seqrec.plans.lineage import small_side
+from seqrec.plans.session import bounded_batches
 
 POSITIVES, UNLABELLED = 4000, 8000
 STEPS, RATE, DECAY = 600, 0.05, 1e-4
@@ -141,6 +142,7 @@ def _featuriser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | float:
     """Model, or a constant score if there is nothing to learn from."""
+    bounded_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).alias("id")).where(learnable(F.col("id")))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(learnable(F.col("id")) & F.col("y").isNotNull()).groupBy("id").agg(F.min("y").alias("y"))
     known = ids.join(marks, "id", "left").select("id", F.coalesce("y", F.lit(-1)).alias("y"))
