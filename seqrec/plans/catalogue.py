@@ -440,7 +440,7 @@ def min_history(spark, d):
 
 
 def k_core(spark, d):
-    pairs = X.interactions(spark, d).where("rating = 4").select("user_id", F.col("book_id").alias("item_id")).distinct()
+    pairs = X.interactions(spark, d).select("user_id", F.col("book_id").alias("item_id")).distinct()
     return S.k_core(pairs, 5)
 
 
