@@ -322,7 +322,7 @@ def cosine_topk_batch(spark, d):
 
 def lsh_topk(spark, d):
     v = X.item_vectors(spark, d)
-    return SIM.lsh_topk(v, v.where("book_index % 100 = 0").select("book_index"), 5)
+    return SIM.lsh_topk(v, v.where("book_index % 50 = 0").select("book_index"), 5)
 
 
 def vector_sum(spark, d):
