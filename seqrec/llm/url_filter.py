@@ -1,9 +1,10 @@
 """URL filters: rules first, then a path-template tree per host.
 
 A path's segments are generalised in two ways: a segment with a digit becomes its shape (digits, and
-what else is not a file extension, as ``*``), and a node with over ``MAX_KIDS`` different children gets one
-wildcard child. Then, level by level from the root, the children of a node whose share of bad labels
-does not differ significantly from all its children's are merged into one branch (``+``). Every
+what else is not a file extension, as ``*``), and then, level by level from the root to the real depth, the children
+of a node whose share of bad labels does not differ significantly from all its children's are merged into one
+branch (``+``). In a node with over ``MAX_KIDS`` different children that branch is the wildcard (``*``), and it also
+takes the children with under ``RARE`` labels; those that differ significantly keep their own. Every
 template's purity (share of good labels) is smoothed towards its host's, and that towards the whole
 table's; templates under ``MIN_PURITY`` are rejected, with all their urls.
 
@@ -26,10 +27,11 @@ from seqrec.llm.words import UPPER
 from seqrec.plans.lineage import materialize, small_side
 
 MAX_KIDS = 20
-MAX_DEPTH = 6
 MIN_PURITY = 0.35
 #: Labels that the smoothing adds at the parent's purity, and good and bad labels that the table's purity starts from.
 STRENGTH, PRIOR_GOOD, PRIOR_BAD = 10.0, 9.0, 1.0
+#: Labels under which a child of a wide node has no branch of its own: there the smoothing outweighs them.
+RARE = 10
 #: Two-proportion z value under which a branch counts as similar to its siblings.
 SIMILAR_Z = 2.58
 
@@ -67,22 +69,22 @@ def shape(path: Column) -> Column:
     return F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.regexp_replace(s, "^.*?(\\.[A-Za-z]{1,5})?$", "*$1")).otherwise(s))
 
 
-def template_tree(shapes: DataFrame, max_kids: int = MAX_KIDS, depth: int = MAX_DEPTH, z: float = SIMILAR_Z) -> DataFrame:
+def template_tree(shapes: DataFrame, max_kids: int = MAX_KIDS, z: float = SIMILAR_Z) -> DataFrame:
     """(host, segs, labelled, bad) -> plus ``template``; one aggregation and join a level."""
     rows = shapes.withColumn("template", F.lit(""))
-    levels = min(depth, shapes.agg(F.max(F.size("segs"))).first()[0] or 0)
+    levels = shapes.agg(F.max(F.size("segs"))).first()[0] or 0
     for d in range(levels):
         at = rows.withColumn("seg", F.get("segs", F.lit(d)))
         kids = at.where("seg IS NOT NULL").groupBy("host", "template", "seg").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
         all_kids = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("l").alias("ls"), F.sum("b").alias("bs"))
         pool = F.expr("(bs + 1) / (ls + 2)")
         off = F.abs(F.expr("try_divide(b, l)") - pool) / F.sqrt(pool * (1 - pool) * F.expr("try_divide(1, l) + 1 / (ls + 2)"))
-        name = F.when(F.col("kids") > max_kids, F.lit("*")).when((F.col("kids") > 1) & F.coalesce(off < z, F.lit(True)), F.lit("+")).otherwise(F.col("seg"))
+        wide, alike = F.col("kids") > max_kids, F.coalesce(off < z, F.lit(True))
+        name = F.when(wide & (alike | (F.col("l") < RARE)), F.lit("*")).when(~wide & (F.col("kids") > 1) & alike, F.lit("+")).otherwise(F.col("seg"))
         names = kids.join(all_kids, ["host", "template"]).select("host", "template", "seg", name.alias("name"))
         moved = at.join(names, ["host", "template", "seg"], "left")
         rows = materialize(moved.select(*shapes.columns, F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template")), "tree")
-    deep = F.size("segs") > levels
-    return rows.withColumn("template", F.when(deep, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+    return rows
 
 
 def template_purity(rows: DataFrame, strength: float = STRENGTH) -> DataFrame:

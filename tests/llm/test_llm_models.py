@@ -197,3 +197,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept["decontaminate"] == kept["near_dedup"] - {103}
     assert kept["mix"] <= kept["decontaminate"]
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == kept["mix"]
+
+
+def test_bad_section_of_a_wide_or_deep_host_is_rejected(spark):
+    names = ["".join("abcdefghij"[int(c)] for c in str(k)) for k in range(100, 130)]
+    rows = [(k * 100 + i, f"http://w.net/{n}/{i}.html") for k, n in enumerate(names) for i in range(100)]
+    rows += [(10_000 + i, f"http://d.net/a/b/c/d/e/f/{('good', 'spam')[i % 2]}/{i}.html") for i in range(200)]
+    bad = lambda i: i < 100 or (i >= 10_000 and i % 2 == 1)
+    pages, marks = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(i, bad(i)) for i, _ in rows], "id long, bad boolean")
+    got = {r.page_id: r for r in UF.filter_urls(pages, marks, []).collect()}
+    assert all((got[i].verdict == "block") == bad(i) for i, _ in rows)
+    assert got[0].template == f"/{names[0]}/*.html" and got[100].template == "/*/*.html"
