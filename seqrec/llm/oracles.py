@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from seqrec.llm.license_scan import CONTAINMENT, NOTICES, SHINGLE
 from seqrec.llm.mixing import MOST, SEED, SHARE
-from seqrec.llm.quality_rules import HOST_LIMIT
+from seqrec.llm.quality_rules import MATERIAL, PRIOR_SDS, STRONGEST, SURE_SDS, WEAKEST
 
 BLANK_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 LETTER_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -74,10 +74,13 @@ HOSTS = f"""
         CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
     f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
     s AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS x FROM f GROUP BY source),
-    p AS (SELECT sum(x) / sum(n) AS m, avg((x / n) * (x / n)) - 2 * sum(x) / sum(n) * avg(x / n) + (sum(x) / sum(n)) * (sum(x) / sum(n)) - sum(x) / sum(n) * (1 - sum(x) / sum(n)) * avg(1 / n) AS v FROM s),
-    q AS (SELECT m, least(greatest(coalesce(m * (1 - m) / greatest(v, 1e-9) - 1, 1000), 1), 1000) AS k FROM p)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (x + m * k) / (n + k) <= {HOST_LIMIT} AS kept
-    FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source, q"""
+    o AS (SELECT *, x / n AS r, (sum(x) OVER () - x) / nullif(sum(n) OVER () - n, 0) AS m, nullif(count(*) OVER () - 1, 0) AS h, sum(x / n) OVER () - x / n AS r1,
+        sum((x / n) * (x / n)) OVER () - (x / n) * (x / n) AS r2, sum(1 / n) OVER () - 1 / n AS inv FROM s),
+    v AS (SELECT *, r2 / h - 2 * m * r1 / h + m * m - m * (1 - m) * inv / h AS v FROM o),
+    k AS (SELECT source, n, x, m AS others, coalesce(m, r) AS m, coalesce(least(greatest(m * (1 - m) / greatest(v, 1e-9) - 1, {WEAKEST}), {STRONGEST}), {WEAKEST}) AS s FROM v),
+    z AS (SELECT source, others, (x + m * s) / (n + s) AS p, n + s + 1 AS size, least(m + greatest({PRIOR_SDS} * sqrt(m * (1 - m) / (s + 1)), {MATERIAL}), (1 + m) / 2) AS most FROM k),
+    j AS (SELECT source, others IS NULL OR p - {SURE_SDS} * sqrt(p * (1 - p) / size) <= most AS fine FROM z)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source"""
 
 LEAKS = f"""
     WITH d AS (SELECT doc_id, {LETTER_WORDS} AS w FROM documents),

@@ -120,3 +120,35 @@ def test_bad_host_is_dropped(spark):
     rows = [(i, "short", "en", "junk", 1) for i in range(95)] + [(95 + i, good, "en", "junk", 1) for i in range(5)] + [(200 + i, good, "en", f"h{i % 9}", 1) for i in range(90)]
     kept = {r.doc_id for r in host_quality(spark.createDataFrame(rows, DOCS)).where("kept").collect()}
     assert kept == set(range(200, 290))
+
+
+def test_windows_that_share_a_hash_are_told_apart(spark, odd, monkeypatch):
+    from seqrec.llm import quality_rules as QR
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    want = sorted((r.doc_id, r.n_repeat_words) for r in QR.base_signals(docs, ["doc_id"]).collect())
+    monkeypatch.setattr(QR, "WINDOW_KEY", "shiftleft(pmod(xxhash64(x, get(_w, i + 1), get(_w, i + 2)), 5L), 58)")
+    assert sorted((r.doc_id, r.n_repeat_words) for r in QR.base_signals(docs, ["doc_id"]).collect()) == want
+    assert any(n for _, n in want)
+
+
+def test_host_verdict_same_as_duckdb_where_hosts_differ(spark, tmp_path):
+    """Two bad hosts among 30, one sole failing document, a hot clean host; the bad ones are rejected in both engines."""
+    good = " ".join(f"w{i}" for i in range(60))
+    rows, at = [], 0
+    for h in range(30):
+        n, bad = (400, 0.05) if h == 3 else (40 + h, 0.9 if h in (7, 11) else 0.1)
+        for i in range(n):
+            rows.append((at, "short" if i < bad * n else good, "en", f"h{h}" if h else None, 1))
+            at += 1
+    rows.append((at, "alone", "en", "single", 1))
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = Q.op10_host_rules(spark, str(tmp_path)).toPandas()
+    assert plain(got) == plain(con.execute(ORACLES["op10_host_rules"]).df())
+    source = {r[0]: r[3] for r in rows}
+    refused = {source[r.doc_id] for r in got.itertuples() if not r.base_failed and not r.kept}
+    assert refused == {"h7", "h11"}
