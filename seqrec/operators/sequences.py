@@ -70,19 +70,17 @@ def min_history(df: DataFrame, least: int = 5, user: str = "user_id") -> DataFra
     return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(user))).where(F.col("_n") >= least).drop("_n")
 
 
-def k_core(df: DataFrame, k: int = 5, user: str = "user_id", item: str = "item_id", max_rounds: int = 50) -> DataFrame:
-    """Largest set of rows where every user and every item has at least k; repeated until nothing changes."""
-    now, n = materialize(df, "core"), -1
-    for _ in range(max_rounds):
-        before, n = n, now.count()
-        if n == before:
-            break
+def k_core(df: DataFrame, k: int = 5, user: str = "user_id", item: str = "item_id") -> DataFrame:
+    """Largest set of rows where every user and every item has at least k; repeated until nothing changes (each round loses rows, so it ends)."""
+    now = materialize(df, "core")
+    before, n = -1, now.count()
+    while n != before:
         users = now.groupBy(user).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select(user)
         step = now.join(users, user, "left_semi")
         items = step.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select(item)
         fresh = materialize(step.join(items, item, "left_semi").select(*df.columns), "core")
         drop(df.sparkSession, now)
-        now = fresh
+        now, before, n = fresh, n, fresh.count()
     return now
 
 

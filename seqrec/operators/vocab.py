@@ -52,4 +52,6 @@ def epoch_pairs(indexed: DataFrame, window: int, fractions: tuple[float, float]
     if fractions is None:
         return training_pairs(indexed, window)
     pairs = training_pairs(indexed.sample(False, fractions[0], epoch_seed), window).sample(False, fractions[1], epoch_seed + 17)
-    return pairs.limit(max_pairs) if max_pairs is not None else pairs
+    if max_pairs is None:
+        return pairs
+    return pairs.orderBy(F.xxhash64(F.lit(epoch_seed), *pairs.columns), *pairs.columns).limit(max_pairs)  # by hash: a limit alone would take the first partitions

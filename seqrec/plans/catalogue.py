@@ -21,7 +21,10 @@ from seqrec.plans.lineage import materialize
 from seqrec.sources import readers as RD
 from seqrec.sources import synthetic as X
 
-TRIM, MIN_COUNT, WINDOW = 20, 10, 5
+#: ``LONGEST`` is the usual bound on a sequence; the two trim queries use a short one, so that it shows.
+LONGEST, TRIM, MIN_COUNT, WINDOW = 200, 20, 10, 5
+#: Indices beyond the vocabulary that the zero fill is asked for.
+SPARE = 10
 
 
 def _flat(seq: DataFrame, column: str = "book_ids", keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
@@ -44,11 +47,11 @@ def _dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trimmed(spark: SparkSession, d: str) -> DataFrame:
-    return S.min_length(_dedup(spark, d).select("user_id", A.trim_first(F.col("book_ids"), TRIM).alias("book_ids")))
+    return S.min_length(_dedup(spark, d).select("user_id", A.trim_first(F.col("book_ids"), LONGEST).alias("book_ids")))
 
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
-    return S.clean_sequences(X.interactions(spark, d), X.ORDER, trim=TRIM, least_count=MIN_COUNT)
+    return S.clean_sequences(X.interactions(spark, d), X.ORDER, trim=LONGEST, least_count=MIN_COUNT)
 
 
 def _indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -147,8 +150,7 @@ def author_names(spark, d):
 
 
 def author_explode_outer(spark, d):
-    few = X.author_links(spark, d).where(F.col("author_id").cast("int") % 2 == 0)
-    nested = X.books(spark, d).join(few.groupBy("book_id").agg(F.collect_list(F.struct("author_id")).alias("authors")), "book_id", "left")
+    nested = X.books(spark, d).join(X.author_links(spark, d).groupBy("book_id").agg(F.collect_list(F.struct("author_id")).alias("authors")), "book_id", "left")
     return M.author_links(nested)
 
 
@@ -226,7 +228,8 @@ def token_counts(spark, d):
 
 
 def zero_count_fill(spark, d):
-    return N.zero_filled_counts(spark, N.token_counts(_indexed(spark, d)[0]), 2500)
+    indexed, vocab = _indexed(spark, d)
+    return N.zero_filled_counts(spark, N.token_counts(indexed), vocab.count() + SPARE)
 
 
 def negative_distribution(spark, d):
@@ -267,13 +270,14 @@ def init_embeddings(spark, d):
 
 def _fixed_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with fixed negatives over the supplied vectors: order keys deal target, context and negatives."""
-    lines = X.table(spark, d, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_partkey", "l_suppkey")
-    spot = lambda x: F.pmod(x, F.lit(500)).cast("int")
+    lines = X.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    vectors = X.item_vectors(spark, d).count()
+    spot = lambda x: F.pmod(x, F.lit(vectors)).cast("int")
     return lines.select(spot(F.col("l_orderkey")).alias("target_book_index"), spot(F.col("l_partkey")).alias("context_book_index"), F.array(spot(F.col("l_partkey") * 7 + 3), spot(F.col("l_suppkey") * 11 + 5)).alias("negatives"))
 
 
 def _model(spark: SparkSession, d: str) -> DataFrame:
-    v = X.item_vectors(spark, d).where("book_index < 500").select("book_index", F.col("input_vector").cast("array<double>").alias("input_vector"))
+    v = X.item_vectors(spark, d).select("book_index", F.col("input_vector").cast("array<double>").alias("input_vector"))
     return v.select("book_index", "input_vector", F.reverse("input_vector").alias("output_vector"))
 
 
@@ -397,10 +401,10 @@ def user_profiles(spark, d):
 
 
 def score_all(spark, d):
-    """Scores of all users against the first fifty items."""
+    """Scores of all users against all items."""
     vectors = _book_vectors(spark, d)
     profiles = R.user_profiles(_split(spark, d).where("NOT is_holdout"), vectors)
-    return R.score_all(profiles, vectors.where("int(book_id) <= 50")).select("user_id", "book_id", _round(F.col("score"), 6).alias("score"))
+    return R.score_all(profiles, vectors).select("user_id", "book_id", _round(F.col("score"), 6).alias("score"))
 
 
 def unseen_topk(spark, d):

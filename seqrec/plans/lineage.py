@@ -13,9 +13,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows a side may have before it is no longer sent to every executor.
 BROADCAST_ROWS = 500_000
+#: Bytes it may take.
+BROADCAST_BYTES = 32 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -26,6 +29,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqrec-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
@@ -68,7 +73,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _weight(kind: T.DataType, column) -> tuple[int, object]:
+    """Bytes that every value of a type takes, and what a value takes beyond, as a column (None: nothing)."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 16, F.octet_length(column)
+    if isinstance(kind, T.StructType):
+        parts = [_weight(f.dataType, column.getField(f.name)) for f in kind.fields]
+        more = [F.coalesce(p[1], F.lit(0)) for p in parts if p[1] is not None]
+        return 16 + sum(p[0] for p in parts), sum(more[1:], more[0]) if more else None
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        held = _weight(kind.elementType, None)[0] if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StructType, T.StringType, T.BinaryType, T.ArrayType, T.MapType)) else 64
+        return 16, F.greatest(F.size(column), F.lit(0)) * held
+    return 8, None
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
-    """Mark ``df`` for broadcast if its counted size is within ``limit`` rows, else leave it to a shuffle join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+    """Mark ``df`` for broadcast if it is, counted, within ``limit`` rows and ``BROADCAST_BYTES``, else leave it to a shuffle join.
+
+    The rows of a table of fixed-size columns may be given; texts and arrays are always measured.
+    """
+    parts = [_weight(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields]
+    more = [F.coalesce(p[1], F.lit(0)) for p in parts if p[1] is not None]
+    fixed, extra = 16 + sum(p[0] for p in parts), 0
+    if more or rows is None:
+        rows, extra = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(more[1:], more[0])) if more else F.lit(0), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and rows * fixed + extra <= BROADCAST_BYTES else df

@@ -12,7 +12,7 @@ INTER = """inter AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partke
 KEY = "ts, l_orderkey, l_linenumber, l_partkey"
 RAW = f"{INTER}, raw AS (SELECT user_id, list(book_id ORDER BY {KEY}) AS ids FROM inter WHERE is_read = 1 AND rating > 0 GROUP BY user_id)"
 DEDUP = f"{RAW}, dd AS (SELECT user_id, list_filter(ids, lambda x, i: i = 1 OR x <> ids[i - 1]) AS ids FROM raw)"
-TRIMMED = f"{DEDUP}, tr AS (SELECT user_id, ids[1:20] AS ids FROM dd WHERE len(ids) >= 2)"
+TRIMMED = f"{DEDUP}, tr AS (SELECT user_id, ids[1:200] AS ids FROM dd WHERE len(ids) >= 2)"
 TOKENS = f"{TRIMMED}, cnt AS (SELECT book_id, count(*) AS cnt FROM (SELECT unnest(ids) AS book_id FROM tr) GROUP BY book_id HAVING count(*) >= 10)"
 CLEAN = f"""{TOKENS}, pos AS (SELECT user_id, unnest(ids) AS book_id, generate_subscripts(ids, 1) AS p FROM tr),
     clean AS (SELECT user_id, list(book_id ORDER BY p) AS ids FROM pos JOIN cnt USING (book_id) GROUP BY user_id HAVING count(*) >= 2)"""
@@ -56,8 +56,9 @@ SEQ = f"""{EV}, one AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY
     seq AS (SELECT user_idx, list(item_idx ORDER BY ts, event_id) AS ids FROM kept JOIN ui USING (user_id) JOIN ii USING (item_id) GROUP BY user_idx)"""
 PAD = "list_concat(list_transform(range(greatest(50 - len({0}), 0)), lambda i: CAST(0 AS BIGINT)), {0})"
 
-SPOTS = """fp AS (SELECT l_orderkey % 500 AS t, l_partkey % 500 AS c, [(l_partkey * 7 + 3) % 500, (l_suppkey * 11 + 5) % 500] AS n FROM lineitem WHERE l_quantity >= 49),
-    m AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS u, list_reverse(CAST(embedding AS DOUBLE[])) AS v FROM embeddings WHERE vec_id < 500),
+SPOTS = """nv AS (SELECT count(*) AS k FROM embeddings),
+    fp AS (SELECT l_orderkey % k AS t, l_partkey % k AS c, [(l_partkey * 7 + 3) % k, (l_suppkey * 11 + 5) % k] AS n FROM lineitem, nv),
+    m AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS u, list_reverse(CAST(embedding AS DOUBLE[])) AS v FROM embeddings),
     ex AS (SELECT t, c AS o, 1.0 AS y FROM fp UNION ALL SELECT t, unnest(n), 0.0 FROM fp),
     gr AS (SELECT t, o, a.u AS u, b.v AS v, 1 / (1 + exp(-list_inner_product(a.u, b.v))) - y AS c FROM ex JOIN m a ON a.i = t JOIN m b ON b.i = o),
     cells AS (SELECT 'input' AS kind, t AS i, generate_subscripts(v, 1) AS k, c * unnest(v) AS x FROM gr UNION ALL SELECT 'output', o, generate_subscripts(u, 1), c * unnest(u) FROM gr),
@@ -85,7 +86,7 @@ ORACLES = {
     "surviving_ids": f"WITH {CLEAN} SELECT DISTINCT unnest(ids) AS book_id FROM clean",
     "restrict_books": f"WITH {VOCAB}, {BOOKS} SELECT book_id, title, work_id FROM books SEMI JOIN ids USING (book_id)",
     "author_names": f"WITH {NAMES} SELECT book_id, author_names FROM names",
-    "author_explode_outer": f"WITH {BOOKS}, {LINKS} SELECT book_id, author_id FROM books LEFT JOIN (SELECT * FROM links WHERE CAST(author_id AS INT) % 2 = 0) USING (book_id)",
+    "author_explode_outer": f"WITH {BOOKS}, {LINKS} SELECT book_id, author_id FROM books LEFT JOIN links USING (book_id)",
     "genre_map": f"WITH {GENRES} SELECT book_id, genre, cnt FROM genres",
     "top_genres": f"WITH {TOP} SELECT book_id, top_genres FROM top",
     "works_join": f"WITH {BOOKS}, {WORKS} SELECT work_id, work_original_title, work_original_publication_year FROM works SEMI JOIN (SELECT * FROM books WHERE ratings_count > 25) b USING (work_id)",
@@ -104,7 +105,7 @@ ORACLES = {
     "pair_count": f"WITH {CLEAN}, c AS (SELECT user_id, len(ids) AS n, least(5, len(ids) - 1) AS m FROM clean) SELECT user_id, n AS n_items, CASE WHEN n > 1 THEN 2 * m * n - m * (m + 1) ELSE 0 END AS n_pairs FROM c",
     "total_pairs": f"WITH {INDEXED} SELECT count(*) AS total_pairs FROM ci a JOIN ci b USING (user_id) WHERE abs(a.p - b.p) <= 5 AND a.p <> b.p",
     "token_counts": f"WITH {INDEXED} SELECT book_index, count(*) AS cnt FROM ci GROUP BY book_index",
-    "zero_count_fill": f"WITH {INDEXED} SELECT r.range AS book_index, count(ci.book_index) AS cnt FROM range(2500) r LEFT JOIN ci ON ci.book_index = r.range GROUP BY r.range",
+    "zero_count_fill": f"WITH {INDEXED} SELECT r.range AS book_index, count(ci.book_index) AS cnt FROM (SELECT unnest(range(count(*) + 10)) AS range FROM vocab) r LEFT JOIN ci ON ci.book_index = r.range GROUP BY r.range",
     "negative_distribution": PROB,
     "alias_table": PROB,
     "sgns_gradients": f"WITH {SPOTS} SELECT kind, i AS book_index, {rounded('sum(x)', 5)} AS g_sum, round(sqrt(sum(x * x)), 5) AS g_norm FROM g GROUP BY kind, i",
@@ -127,7 +128,7 @@ ORACLES = {
     "ground_truth_sets": f"WITH {SPLIT} SELECT user_id, count(*) AS n_items, string_agg(book_id, ',' ORDER BY book_id) AS items FROM sp WHERE is_holdout GROUP BY user_id",
     "seen_sets": f"WITH {SPLIT} SELECT user_id, count(*) AS n_items, string_agg(book_id, ',' ORDER BY book_id) AS items FROM sp WHERE NOT is_holdout GROUP BY user_id",
     "user_profiles": f"WITH {PROFILE} SELECT user_id, i, {rounded('x', 6)} AS x FROM prof",
-    "score_all": f"WITH {PROFILE} SELECT user_id, book_id, {SCORE} AS score FROM profile, bv WHERE CAST(book_id AS INT) <= 50",
+    "score_all": f"WITH {PROFILE} SELECT user_id, book_id, {SCORE} AS score FROM profile, bv",
     "unseen_topk": f"WITH {RECS} SELECT user_id, book_id, score, rank FROM recs",
     "recs_pretty": f"WITH {RECS}, {BOOKS} SELECT user_id, rank - 1 AS pos, book_id, title FROM recs LEFT JOIN books USING (book_id)",
     "precision_recall_at_10": f"WITH {EVAL} SELECT count(*) AS users, round(avg(hits / 10), 6) AS precision_at_10, round(avg(hits / greatest(1, n)), 6) AS recall_at_10 FROM ev",
