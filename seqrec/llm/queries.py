@@ -35,11 +35,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from seqrec.llm.url_filter import Rule, filter_urls
+    from seqrec.llm.url_filter import Rule, filter_urls, url_labels
 
     rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return filter_urls(table(spark, sf_dir, "pages"), labels, rules).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    marked = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return filter_urls(pages, marked.unionByName(url_labels(pages, rules)), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

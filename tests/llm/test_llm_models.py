@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -208,3 +209,82 @@ def test_bad_section_of_a_wide_or_deep_host_is_rejected(spark):
     got = {r.page_id: r for r in UF.filter_urls(pages, marks, []).collect()}
     assert all((got[i].verdict == "block") == bad(i) for i, _ in rows)
     assert got[0].template == f"/{names[0]}/*.html" and got[100].template == "/*/*.html"
+
+
+def brute_urls(pages, bad_of, rules):
+    """page_id -> verdict by plain loops: rules, then templates level by level, purity and its upper end."""
+    import math
+
+    def parts(u):
+        m = re.search(r"://([^/?#]*)([^?#]*)", u or "")
+        return ("".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
+
+    def shaped(path):
+        return tuple(re.sub(r"^.*?(\.[A-Za-z]{1,5})?$", lambda m: "*" + (m[1] or ""), x, count=1) if re.search("[0-9]", x) else x for x in path.split("/") if x)
+
+    rows = {}  # (host, shape) -> [labelled, bad]
+    for i, u in pages:
+        host, path = parts(u)
+        cell = rows.setdefault((host, shaped(path)), [0, 0])
+        if i in bad_of:
+            cell[0] += 1
+            cell[1] += bad_of[i]
+    template = dict.fromkeys(rows, "")
+    for d in range(max(len(k[1]) for k in rows)):
+        kids = {}
+        for k, (n, b) in rows.items():
+            if len(k[1]) > d:
+                cell = kids.setdefault((k[0], template[k]), {}).setdefault(k[1][d], [0, 0])
+                cell[0], cell[1] = cell[0] + n, cell[1] + b
+        names = {}
+        for node, own in kids.items():
+            ls, bs = sum(v[0] for v in own.values()), sum(v[1] for v in own.values())
+            pool = (bs + 1) / (ls + 2)
+            for seg, (n, b) in own.items():
+                alike = n == 0 or abs(b / n - pool) / math.sqrt(pool * (1 - pool) * (1 / n + 1 / (ls + 2))) < UF.SIMILAR_Z
+                wide = len(own) > UF.MAX_KIDS
+                names[node, seg] = "*" if wide and (alike or n < UF.RARE) else "+" if not wide and len(own) > 1 and alike else seg
+        template = {k: t + "/" + names[(k[0], t), k[1][d]] if len(k[1]) > d else t for k, t in template.items()}
+    host_l, leaf = {}, {}
+    for k, (n, b) in rows.items():
+        for table, key in ((host_l, k[0]), (leaf, (k[0], template[k]))):
+            cell = table.setdefault(key, [0, 0])
+            cell[0], cell[1] = cell[0] + n, cell[1] + b
+    tl, tb = (sum(v[j] for v in host_l.values()) for j in (0, 1))
+    base = (tl - tb + UF.PRIOR_GOOD) / (tl + UF.PRIOR_GOOD + UF.PRIOR_BAD)
+    out = {}
+    for i, u in pages:
+        host, path = parts(u)
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        if fits:
+            out[i] = max(fits, key=lambda r: len(r.text)).verdict
+            continue
+        n, b = leaf[host, template[host, shaped(path)]]
+        hn, hb = host_l[host]
+        p = (n - b + UF.STRENGTH * (hn - hb + UF.STRENGTH * base) / (hn + UF.STRENGTH)) / (n + UF.STRENGTH)
+        out[i] = "block" if p + UF.SURE * math.sqrt(p * (1 - p) / (n + UF.STRENGTH + 1)) < UF.MIN_PURITY else "allow"
+    return out
+
+
+def test_url_templates_match_brute_force(spark):
+    """Hosts with a bad section, with many sections, with deep paths; a seed word; rules."""
+    rng = random.Random(8)
+    rules = [UF.Rule("allow", "org", "/"), UF.Rule("block", "bad.org", "/x/"), UF.Rule("block", "com", "/de/")]
+    pages, marks = [], []
+    for i in range(2500):
+        host = rng.choice(["a.net", "A.net", "wide.net", "deep.net", "my-casino.net", "w.bad.org", "c.com", ""])
+        seg = rng.choice(["shop", "news", "de", "x"]) if host != "wide.net" else f"s{chr(97 + rng.randrange(26))}"
+        path = f"/{seg}/" + ("/".join("pqr"[rng.randrange(3)] for _ in range(8)) if host == "deep.net" else f"{i}.html")
+        pages.append((i, f"http://{host}{path}?q=1" if host else rng.choice([None, "no url"])))
+        if rng.random() < 0.6:
+            worse = (seg in ("shop", "sd")) + (host == "deep.net" and path.endswith("/r"))
+            marks.append((i, rng.random() < (0.95 if worse else 0.05)))
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    labels = spark.createDataFrame(marks, "id long, bad boolean").unionByName(UF.url_labels(df, rules))
+    bad_of = {}
+    for r in labels.collect():
+        bad_of[r.id] = max(bad_of.get(r.id, 0), int(r.bad))
+    got = {r.page_id: (r.verdict, r.rule) for r in UF.filter_urls(df, labels, rules).collect()}
+    assert {i: v for i, (v, _) in got.items()} == brute_urls(pages, bad_of, rules)
+    free = [v for v, rule in got.values() if rule is None]
+    assert free.count("block") > 50 and free.count("allow") > 50
