@@ -36,3 +36,16 @@ def test_without_broadcast(spark, request):
     want = run()
     request.getfixturevalue("no_broadcast")
     assert run() == want
+
+
+def test_line_dedup_beyond_every_limit(spark, monkeypatch):
+    """Nothing fits a broadcast: the same lines go, and of its own tables only the list of them stays in the shared folder."""
+    from seqrec.plans import lineage
+
+    docs = documents(spark)
+    want = key(LD.dedup_lines(docs))
+    monkeypatch.setattr(lineage, "BROADCAST_BYTES", 0)
+    before = {path for _, path in lineage._made}
+    assert key(LD.dedup_lines(docs)) == want
+    left = [path.rsplit("/", 1)[1] for _, path in lineage._made if path not in before]
+    assert sorted({x.rsplit("-", 1)[0] for x in left}) == ["gone-lines", "links"]

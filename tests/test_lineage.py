@@ -35,3 +35,12 @@ def _plans(spark):
     store = spark._jsparkSession.sharedState().statusStore()
     runs = store.executionsList()
     return [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+
+
+def test_shuffle_files_of_a_written_table_are_deleted(spark):
+    shuffles = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    table = spark.range(5000).selectExpr("id % 1000 AS k").repartition(3, "k").groupBy("k").count()
+    before = shuffles()
+    out = materialize(table, "counts")
+    assert shuffles() <= before and out.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
